@@ -5,17 +5,64 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .near_dedup import near_duplicates
+from . import avi, licenses, mixing, near_dedup, passages, pieces, pivots, toxicity, warc
 from .tables import table
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str = pieces.MODEL) -> DataFrame:
+    """Pieces of every document, and whether they decode to its text."""
+    return pieces.encode(table(spark, sf_dir, "documents"), pieces.load(model_path), check=True)
+
+
+def op2_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.toxicity(docs, toxicity.fit_on(docs, table(spark, sf_dir, "labels")))
+
+
+def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents"))
+
+
+def op6_avi_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return avi.media_features(avi.with_media(table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every repeated passage, and a row of its own for each passage's first holder."""
+    found = passages.repeated_passages(table(spark, sf_dir, "documents"))
+    held = found.groupBy("other_doc_id", "other_start", "other_end").agg(F.count(F.lit(1)).alias("copies"))
+    mine = held.select(
+        F.col("other_doc_id").alias("doc_id"), F.col("other_start").alias("start_word"), F.col("other_end").alias("end_word"), "other_doc_id", "other_start", "other_end",
+        F.lit(1.0).alias("similarity"), F.lit(True).alias("kept"),
+    )
+    return found.withColumn("kept", F.lit(False)).unionByName(mine)
+
+
+def op10_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.linked_vectors(table(spark, sf_dir, "embeddings"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op8_minhash_near_dedup": op8_minhash_near_dedup,
+    f.__name__: f
+    for f in (op1_sentencepiece, op2_warc_salvage, op3_toxicity, op5_mix_sources, op6_avi_media, op7_license_scan, op8_minhash_near_dedup, op9_substring_dedup, op10_pivot_index)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_warc_salvage": warc.ORACLE_SQL,
+    "op5_mix_sources": mixing.oracle_sql(),
+    "op10_pivot_index": pivots.ORACLE_SQL,
+}
