@@ -11,10 +11,11 @@ are candidates:
 * skip: a posting list whose sets are already in one component is skipped, and of the other lists
   only pairs across components are merged.
 
-A posting list is never expanded into all its pairs. Two rounds link each list's sets to a leader
-(the smallest id, then one drawn by hash) and confirm every link on full shingle sets; the exact rest
-then compares the sets outside each list's largest component with the other components' sets.
-Equal sets are collapsed first and share their class's result.
+A posting list is never expanded into all its pairs. Two rounds link each list's sets to a leader (the
+set whose tokens the most sets share, then one drawn by hash) and confirm every link on full shingle
+sets. In the lists that still hold several components, the exact rest compares sets of different
+components where they stand, in tiles of at most TILE sets a side, and hands on one link for each two
+components that it joins. Equal sets are collapsed first and share their class's result.
 """
 
 from __future__ import annotations
@@ -27,12 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shingles import U, mix, seeds, shingle_rows
-from .tables import connected, cut, discard
+from .tables import connected, cut, discard, runs
 
 #: With 48 coordinates and 26 matches a pair of similarity 0.75 is missed with probability 0.0004, one of 0.9 with under 1e-12.
 COORDS = 48
 MATCHES = 26
 PER_CENT = 75
+TILE = 1024
 
 _MULT = seeds(COORDS, 101) | U(1)
 _ADD = seeds(COORDS, 202)
@@ -86,10 +88,41 @@ def _sets(column: pa.Array) -> Iterator[np.ndarray]:
             yield h[at[k] : at[k + 1]]
 
 
-def _agreeing(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose signatures agree in MATCHES coordinates."""
-    x, y = (sigs.select(F.col("rep").alias(k), F.col("sig").alias(f"sig_{k}")) for k in "ab")
-    return pairs.join(x, "a").join(y, "b").where(F.size(F.array_intersect("sig_a", "sig_b")) >= MATCHES).select("a", "b")
+def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over rows (token, row tile, column tile, side, rep, component, text), sorted: links (a, b) that join components."""
+    for t in runs(batches, 3):
+        t = t.combine_chunks()
+        reps, parts = t.column("rep").to_pylist(), t.column("component").to_pylist()
+        sides = t.column("side").to_pylist()
+        same = t.column("p")[0].as_py() == t.column("q")[0].as_py()
+        if len(set(parts)) < 2:
+            continue
+        sets = list(_sets(t.column("text").chunk(0) if t.column("text").num_chunks else t.column("text").combine_chunks()))
+        sizes = np.array([len(x) for x in sets])
+        values, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+        order = np.argsort(values, kind="stable")
+        values, owner = values[order], owner[order]
+        root = {c: c for c in parts}
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
+        # the largest component's sets ask nothing: every pair across components has another one in it
+        most = max(set(parts), key=lambda c: (parts.count(c), c))
+        links = []
+        for k in sorted((k for k, c in enumerate(parts) if c != most), key=lambda k: reps[k]):
+            a, b = np.searchsorted(values, sets[k], "left"), np.searchsorted(values, sets[k], "right")
+            n = b - a
+            at = np.repeat(a - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+            both = np.bincount(owner[at], minlength=len(sets))
+            for m in np.flatnonzero(100 * both >= PER_CENT * (sizes + sizes[k] - both)).tolist():
+                if (same or sides[m] != sides[k]) and find(parts[m]) != find(parts[k]):
+                    root[find(parts[m])] = find(parts[k])
+                    links.append((min(reps[k], reps[m]), max(reps[k], reps[m])))
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([x for _, x in links], pa.int64())], ["a", "b"])
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -118,37 +151,45 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     listed = (
         tokens.join(shared, "token").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("f", "token"))).alias("t"))
         .where(F.size("t") >= MATCHES)
-        .select("rep", F.explode(F.slice("t", 1, F.size("t") - (MATCHES - 1))).alias("t"))
-        .select("rep", F.col("t.token").alias("token"))
+        .select("rep", F.aggregate("t", F.lit(0).cast("long"), lambda n, x: n + x["f"]).alias("known"), F.explode(F.slice("t", 1, F.size("t") - (MATCHES - 1))).alias("t"))
+        .select("rep", "known", F.col("t.token").alias("token"))
     )
     posted = cut(listed, "posted")
     wanted = posted.select(F.col("rep").alias("id")).distinct()
     texts = cut(source.join(wanted, "id").groupBy("id").agg(F.min("text").alias("text")).withColumnRenamed("id", "rep"), "texts")
 
-    edges, parts = None, None
-    for draw in (F.col("rep"), F.xxhash64("rep", "token")):
-        at = posted if parts is None else _open_lists(posted, parts)
-        lead = at.groupBy("token").agg(F.min_by("rep", draw).alias("lead"))
-        pairs = at.join(lead, "token").where("rep <> lead")
-        if parts is not None:
-            pairs = pairs.join(parts.select(F.col("rep").alias("lead"), F.col("component").alias("other")), "lead").where("component <> other")
-        pairs = pairs.select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
-        edges, parts = _linked(_verified(_agreeing(pairs, sigs), texts), edges, posted, parts)
-    at = cut(_open_lists(posted, parts), "open")
-    sizes = at.groupBy("token", "component").agg(F.count(F.lit(1)).alias("k"))
-    most = sizes.groupBy("token").agg(F.max_by("component", F.struct("k", "component")).alias("largest"))
-    minor = at.join(most, "token").where("component <> largest").select("token", F.col("rep").alias("x"), F.col("component").alias("cx"), "largest")
-    pairs = (
-        minor.join(at, "token").where("component <> cx and (component = largest or x < rep)")
-        .select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct()
-    )
-    edges, parts = _linked(_verified(_agreeing(pairs, sigs), texts), edges, posted, parts)
+    parts = posted.select("rep", F.col("rep").alias("component")).distinct()
+    for step in ("central", "drawn", "rest"):
+        at = cut(_open_lists(posted, parts), "open")
+        if at.isEmpty():
+            discard(at)
+            break
+        if step == "rest":
+            n = at.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("t"))
+            placed = at.join(n, "token").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("t")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("t") - 1)))
+            side = F.when(F.col("own") <= F.col("other"), 0).otherwise(1)
+            cells = placed.select("token", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), side.alias("side"), "rep", "component")
+            cells = cells.join(texts, "rep").select("token", "p", "q", "side", "rep", "component", "text")
+            new = cells.repartition("token", "p", "q").sortWithinPartitions("token", "p", "q").mapInArrow(_rest, "a long, b long")
+        else:
+            draw = F.struct("known", -F.col("rep")) if step == "central" else F.struct(F.xxhash64("rep", "token"))
+            lead = at.groupBy("token").agg(F.max_by("rep", draw).alias("lead"), F.max_by("component", draw).alias("other"))
+            pairs = at.join(lead, "token").where("component <> other").select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
+            new = _verified(pairs, texts)
+        found = cut(_across(new, parts), "links")
+        merged = connected(found).select(F.col("node").alias("component"), F.col("component").alias("low"))
+        now = cut(
+            parts.join(merged, "component", "left").select("rep", F.coalesce("low", "component").alias("component")),
+            "parts",
+        )
+        discard(at, found, parts)
+        parts = now
 
     by_class = classes.join(parts, "rep", "left").select("n", "k1", "k2", F.coalesce("component", "rep").alias("component_id"))
     out = signed.select("id", "n", "k1", "k2").join(by_class, ["n", "k1", "k2"], "left")
     component = F.when(F.col("n") > 0, F.when(F.col("id").isNotNull(), F.col("component_id"))).otherwise(F.col("id"))
     out = cut(out.select("id", F.col("n").alias("n_shingles"), component.alias("component_id")), "near")
-    discard(signed, sigs, posted, texts, at, edges, parts)
+    discard(signed, sigs, posted, texts, parts)
     return out.select(
         F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept")
     )
@@ -161,16 +202,10 @@ def _open_lists(posted: DataFrame, parts: DataFrame) -> DataFrame:
     return at.join(mixed, "token")
 
 
-def _linked(new: DataFrame, edges: DataFrame | None, posted: DataFrame, parts: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """All confirmed edges so far, and the component of every posted set."""
-    found = cut(new if edges is None else new.union(edges), "links")
-    found_parts = connected(found).withColumnsRenamed({"node": "rep"})
-    now = cut(
-        posted.select("rep").distinct().join(found_parts, "rep", "left").select("rep", F.coalesce("component", "rep").alias("component")), "parts"
-    )
-    if edges is not None:
-        discard(edges, parts)
-    return found, now
+def _across(links: DataFrame, parts: DataFrame) -> DataFrame:
+    """Links between sets as links (a, b) between their components."""
+    x, y = (parts.select(F.col("rep").alias(k), F.col("component").alias(f"c{k}")) for k in "ab")
+    return links.join(x, "a").join(y, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).where("a <> b").distinct()
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

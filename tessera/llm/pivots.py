@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import connected, cut, discard
+from .tables import connected, cut, discard, runs
 
 PIVOTS = 256
 #: Vectors that pivots are chosen from: those with the smallest hashes of their ids.
@@ -79,32 +79,11 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Over rows (key, row tile, column tile, side, rep, copies, vec, keys), sorted: (rep, links, edge) per vector and tile."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)]
-        new = np.ones(batch.num_rows, bool)
-        new[1:] = (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]) | (cols[2][1:] != cols[2][:-1])
-        if held and all(held[-1].column(k)[-1].as_py() == batch.column(k)[0].as_py() for k in range(3)):
-            new[0] = False
-        starts = np.flatnonzero(new).tolist()
-        if held and starts:
-            held.append(batch.slice(0, starts[0]))
-            yield from _tile(held)
-            held = []
-        elif held:
-            held.append(batch)
-            continue
-        for a, b in zip(starts[:-1], starts[1:], strict=True):
-            yield from _tile([batch.slice(a, b - a)])
-        held = [batch.slice(starts[-1])]
-    if held:
-        yield from _tile(held)
-
-
-def _tile(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    t = pa.Table.from_batches(parts).combine_chunks()
+    for t in runs(batches, 3):
+        yield from _tile(t.combine_chunks())
+
+
+def _tile(t: pa.Table) -> Iterator[pa.RecordBatch]:
     side = t.column("side").to_numpy()
     key, rep, copies = t.column("key")[0].as_py(), t.column("rep").to_numpy(), t.column("copies").to_numpy()
     same = t.column("p")[0].as_py() == t.column("q")[0].as_py()
