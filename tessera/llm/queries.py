@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import avi, licenses, mixing, near_dedup, passages, pieces, pivots, toxicity, warc
+from . import avi, licenses, mixing, near_dedup, passages, pieces, pivots, toxicity, warc, weak_quality
 from .tables import table
 
 
@@ -25,6 +25,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(docs, toxicity.fit_on(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak_quality.quality(table(spark, sf_dir, "documents"))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
@@ -58,7 +62,7 @@ def op10_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_sentencepiece, op2_warc_salvage, op3_toxicity, op5_mix_sources, op6_avi_media, op7_license_scan, op8_minhash_near_dedup, op9_substring_dedup, op10_pivot_index)
+    for f in (op1_sentencepiece, op2_warc_salvage, op3_toxicity, op4_weak_quality, op5_mix_sources, op6_avi_media, op7_license_scan, op8_minhash_near_dedup, op9_substring_dedup, op10_pivot_index)
 }
 
 ORACLE_SQL: dict[str, str] = {
