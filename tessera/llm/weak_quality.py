@@ -74,7 +74,7 @@ def votes(m: dict[str, float]) -> tuple[int, ...]:
         vote(m["marks"] > 0.3, m["marks"] < 0.02 and some),
         vote(m["digits"] > 0.2, m["digits"] < 0.05 and some),
         vote(not some, 0.02 < m["ends"] < 0.4),
-        vote(m["odd"] > 0.6, m["odd"] < 0.15 and some),
+        vote(m["odd"] > 0.35, m["odd"] < 0.15 and some),
         vote(m["stutter"] > 0.2, m["stutter"] < 0.05 and some),
     )
 
