@@ -17,6 +17,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
@@ -165,8 +166,6 @@ def fit_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def score_column(model: Model, text: Column) -> Column:
     """The score of each text, 0 to 1; of null and empty texts that of a text without windows."""
-    import pandas as pd
-
     def score(texts: pd.Series) -> pd.Series:
         scorer = model.scorer()
         return pd.Series([scorer.score(t) for t in texts], dtype="float64")
