@@ -212,3 +212,18 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """docs without the rows that near_duplicates() does not keep; columns and repeated kept rows stay as they are."""
     gone = near_duplicates(docs, id_col, text_col).where("not kept").select(F.col(id_col).cast("long").alias("__gone")).distinct()
     return docs.join(gone, docs[id_col].cast("long") == gone["__gone"], "left_anti")
+
+
+#: All pairs that share a shingle, and the smallest id reachable over those that are similar enough.
+ORACLE_SQL = rf"""
+with recursive t as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select doc_id, unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+  else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) end) as shingle from t),
+n as (select doc_id, count(*) as n from s group by 1),
+c as (select a.doc_id as x, b.doc_id as y, count(*) as k from s a join s b on a.shingle = b.shingle and a.doc_id < b.doc_id group by 1, 2),
+e as (select x, y from c join n p on p.doc_id = x join n q on q.doc_id = y where 100 * k >= {PER_CENT} * (p.n + q.n - k)),
+link as (select x, y from e union all select y, x from e),
+reach(x, y) as (select doc_id, doc_id from documents union select r.x, l.y from reach r join link l on r.y = l.x),
+low as (select x, min(y) as component_id from reach group by x)
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, low.component_id, d.doc_id = low.component_id as kept
+from documents d join low on low.x = d.doc_id left join n on n.doc_id = d.doc_id"""

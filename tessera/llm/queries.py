@@ -66,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op8_minhash_near_dedup": near_dedup.ORACLE_SQL,
     "op2_warc_salvage": warc.ORACLE_SQL,
     "op5_mix_sources": mixing.oracle_sql(),
     "op10_pivot_index": pivots.ORACLE_SQL,
