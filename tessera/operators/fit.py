@@ -4,8 +4,8 @@ A feature's path doesn't depend on its neighbours, so the whole iteration runs w
 shuffle, no driver loop. Cells of a block are flat arrays; sums over a feature are bincounts.
 
 Schedule: update_scale_freq location steps (reweighted least squares), then one scale search, until the
-relative change of a feature's log-likelihood stays under LL_TOLERANCE for both. A step that makes a
-feature's loss worse is taken back.
+relative change of a feature's log-likelihood stays under LL_TOLERANCE for both. A location step that makes
+a feature's loss worse is halved, up to HALVINGS times, and then taken back, as is such a scale step.
 """
 
 from __future__ import annotations
@@ -31,6 +31,7 @@ logger = logging.getLogger("tessera")
 LL_TOLERANCE = 1e-10
 #: Half-width of the interval that the scale search looks in.
 REACH = 20.0
+HALVINGS = 5
 GOLDEN = (np.sqrt(5) - 1) / 2
 
 
@@ -260,6 +261,12 @@ def _train(b: Block, train_loc: bool, train_scale: bool, phase: Mapping, history
             if train_loc:
                 new = b.irls()
                 now = b.loss(b.eta(new), b.s)
+                for _ in range(HALVINGS):
+                    worse = open_ & ~(now <= loss)
+                    if not worse.any():
+                        break
+                    new[worse] = (new[worse] + b.theta[worse]) / 2
+                    now = b.loss(b.eta(new), b.s)
                 take = open_ & (now <= loss)
                 b.theta[take], loss = new[take], np.where(take, now, loss)
             k -= 1
