@@ -1,7 +1,7 @@
 import os
 import random
+from itertools import product
 
-import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -73,7 +73,7 @@ def test_unigram_scores():
         options = [(s + own.m.scores[own.ids[word[:k]]], [own.ids[word[:k]], *p]) for k in range(1, len(word) + 1) if word[:k] in own.ids for s, p in [best(word[k:])]]
         return max(options)
 
-    words = {"▁" + "".join(w) for n in range(5) for w in np.array(np.meshgrid(*[list("abc")] * n)).T.reshape(-1, n).tolist()}
+    words = {"▁" + "".join(w) for n in range(5) for w in product("abc", repeat=n)}
     for word, got in own.encode_words(words):
         assert sum(own.m.scores[k] for k in got) == pytest.approx(best(word)[0])
     assert dict(own.encode_words(["▁axxb"]))["▁axxb"] == [own.ids["▁a"], 0, own.ids["b"]]
