@@ -255,14 +255,16 @@ class GlmInput:
         keys = ["feature", "loc", "scale", "size_factor"]
         rows = self.x.join(self.design, "obs_id").groupBy(*keys, "x").agg(F.count(F.lit(1)).alias("cnt"))
         groups = self.groups().limit(MAX_GROUPS + 1).collect()
-        if len(groups) > MAX_GROUPS:
-            logger.info("more than %d distinct design rows: the data count as dense", MAX_GROUPS)
-            return rows
-        lit = lambda v: F.lit(None).cast("double") if v is None else F.lit(float(v))
-        each = F.explode(F.array(*[F.struct(F.array(*map(lit, g["loc"])).alias("loc"), F.array(*map(lit, g["scale"])).alias("scale"), lit(g["size_factor"]).alias("size_factor"), F.lit(g["n_obs"]).alias("n_obs")) for g in groups])) if groups else None
-        if each is None:
+        if not groups:
             return rows
-        full = self.features().select("feature", each.alias("g")).select("feature", "g.*").withColumns({"x": F.lit(0.0).cast(self.dtype), "cnt": F.lit(0).cast("long")})
+        if len(groups) > MAX_GROUPS:
+            logger.info("more than %d distinct design rows: zeros are counted by a join with them", MAX_GROUPS)
+            full = self.features().crossJoin(self.groups())
+        else:
+            lit = lambda v: F.lit(None).cast("double") if v is None else F.lit(float(v))
+            each = F.explode(F.array(*[F.struct(F.array(*map(lit, g["loc"])).alias("loc"), F.array(*map(lit, g["scale"])).alias("scale"), lit(g["size_factor"]).alias("size_factor"), F.lit(g["n_obs"]).alias("n_obs")) for g in groups]))
+            full = self.features().select("feature", each.alias("g")).select("feature", "g.*")
+        full = full.withColumns({"x": F.lit(0.0).cast(self.dtype), "cnt": F.lit(0).cast("long")})
         there = rows.withColumn("n_obs", F.lit(0).cast("long")).unionByName(full.withColumn("n_obs", F.col("n_obs").cast("long")))
         spread = there.groupBy(*keys, "x").agg(F.sum("cnt").alias("cnt"), F.sum("n_obs").alias("n_obs"))
         seen = rows.groupBy(*keys).agg(F.sum("cnt").alias("__seen"))

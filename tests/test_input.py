@@ -97,3 +97,15 @@ def test_selections(spark):
     one = inp.subset_features("a")
     assert one.num_features == 1 and {r.feature for r in one.cells().collect()} == {"a"}
     assert (inp.num_design_loc_params, inp.num_loc_params, inp.num_scale_params) == (2, 2, 1)
+
+
+def test_zeros_count_with_more_design_rows_than_max_groups(spark):
+    """501 distinct size factors: every observation has a cell for every feature, zeros too."""
+    n = 501
+    data = np.zeros((n, 2))
+    data[::3, 0] = 2.0
+    data[1, 1] = 5.0
+    design = np.ones((n, 1))
+    inp = GlmInput.from_matrix(spark, data, design, ["Intercept"], size_factors=np.arange(1, n + 1) / 100)
+    got = {(r.feature, round(r.size_factor * 100) - 1): (r.x, r.cnt) for r in inp.cells().collect()}
+    assert got == {(str(f), o): (data[o, f], 1) for f in range(2) for o in range(n)}
