@@ -135,22 +135,40 @@ def _checked(start: int, end: int, headers: dict[str, str], block: bytes) -> Rec
     return found
 
 
-def _read_members(data: bytes, at: int) -> tuple[list[Record], int]:
-    """The records of the gzip member at data[at:], and of those after it as far as a record runs on, and where they end."""
-    raw, end, records = b"", at, []
-    while True:
-        z = zlib.decompressobj(31)
-        parts, step = [], end
+def _inflate(data: bytes, at: int) -> tuple[bytes, int, str, bool]:
+    """What the gzip member at data[at:] holds, where its reading ends, and why it stopped before the member's end (empty if it did not) and whether for want of data."""
+    z, parts, step = zlib.decompressobj(31), [], at
+    try:
+        while not z.eof:
+            if step >= len(data):
+                return b"".join(parts), len(data), "the archive ends within a member", True
+            # small pieces, so that little is lost before an error
+            parts.append(z.decompress(data[step : step + (1 << 16)]))
+            step += 1 << 16
+    except zlib.error as e:
+        z, stop = zlib.decompressobj(31), min(step + (1 << 16), len(data))
+        parts, at_byte = [], at
         try:
-            while not z.eof:
-                if step >= len(data):
-                    raise Damaged("the archive ends within a member")
-                parts.append(z.decompress(data[step : step + (1 << 16)]))
-                step += 1 << 16
-        except zlib.error as e:
-            raise Damaged(f"member: {e}") from None
-        end = min(step, len(data)) - len(z.unused_data)
-        raw += b"".join(parts)
+            while at_byte < stop:
+                size = 1 << 16 if at_byte + (1 << 16) <= step else 1
+                parts.append(z.decompress(data[at_byte : at_byte + size]))
+                at_byte += size
+        except zlib.error:
+            pass
+        return b"".join(parts), at_byte, f"member: {e}", False
+    return b"".join(parts), min(step, len(data)) - len(z.unused_data), "", False
+
+
+def _read_on(data: bytes, at: int, raw: bytes, end: int) -> tuple[list[Record], int]:
+    """The records of raw, the rest of members from data[at:end], and of the members after it as far as a record runs on, and where they end."""
+    records: list[Record] = []
+    while True:
+        if not data.startswith(_MAGIC, end):
+            raise Damaged("a record ends too early")
+        more, end, why, _ = _inflate(data, end)
+        if why:
+            raise Damaged(why)
+        raw += more
         place = 0
         while place < len(raw) and (frame := _frame(raw, place)):
             headers, a, b = frame
@@ -159,16 +177,71 @@ def _read_members(data: bytes, at: int) -> tuple[list[Record], int]:
         raw = raw[place:]
         if not raw:
             return records, end
-        if not data.startswith(_MAGIC, end):
-            raise Damaged("a record ends too early")
+
+
+def _search(raw: bytes, at: int, end: int, stated: bool) -> list[Record | Gap]:
+    """The whole records in raw and gaps between them; stated: only those whose payload digest is stated and right."""
+    out: list[Record | Gap] = []
+    place = 0
+    while place < len(raw):
+        try:
+            frame = _frame(raw, place)
+            if frame is None:
+                raise Damaged("a record ends too early")
+            found = _checked(at, end, frame[0], raw[frame[1] : frame[2]])
+            if stated and (not found.headers.get("warc-payload-digest", "").startswith("sha256:") or found.headers.get("warc-type") == "revisit"):
+                raise Damaged("a record without a digest in a damaged member")
+            out.append(found)
+            place = frame[2] + 4
+        except Damaged as e:
+            if not out or isinstance(out[-1], Record):
+                out.append(Gap(at, end, str(e)))
+            nxt = raw.find(_VERSION, place + 1)
+            place = nxt if nxt >= 0 else len(raw)
+    return out
+
+
+def _read_members(data: bytes, at: int) -> tuple[list[Record | Gap], int]:
+    """The records and gaps of the gzip member at data[at:], and of those after it as far as a record runs on, and where they end.
+
+    A gap within a member has the member's bytes.
+    """
+    raw, end, why, _ = _inflate(data, at)
+    if why:
+        raise Damaged(why)
+    place, records = 0, []
+    try:
+        while place < len(raw) and (frame := _frame(raw, place)):
+            headers, a, b = frame
+            records.append(_checked(at, end, headers, raw[a:b]))
+            place = b + 4
+        if place < len(raw):
+            more, stop = _read_on(data, at, raw[place:], end)
+            return records + more, stop
+    except Damaged:
+        rest = _search(raw[place:], at, end, False)
+        if not records and not any(isinstance(x, Record) for x in rest):
+            raise
+        return records + rest, end
+    return records, end
 
 
 def salvage(data: bytes) -> Iterator[Record | Gap]:
     """The records and quarantined gaps of an archive, in order; together they cover all its bytes.
 
-    Gzip members and plain records may be mixed. Empty data has neither.
+    Gzip members and plain records may be mixed. Empty data has neither. Whole records of a member
+    that is damaged or cut have the range of the gap that it leaves; of a damaged one only records
+    whose payload's SHA-256 is stated and right are taken, for its check sum can't be.
     """
     at, lost, why = 0, None, ""
+    partial: list[tuple[int, Record]] = []
+
+    def quarantined(stop: int) -> Iterator[Record | Gap]:
+        for _, x in partial:
+            yield Record(lost, stop, x.headers, x.block)
+        partial.clear()
+        yield Gap(lost, stop, why)
+
     while at < len(data):
         try:
             if data.startswith(_MAGIC, at):
@@ -183,16 +256,23 @@ def salvage(data: bytes) -> Iterator[Record | Gap]:
         except Damaged as e:
             if lost is None:
                 lost, why = at, str(e)
+            if data.startswith(_MAGIC, at) and not any(at < stop for stop, _ in partial):
+                raw, stop, failed, short = _inflate(data, at)
+                if failed:
+                    partial += [(stop, x) for x in _search(raw, at, stop, not short) if isinstance(x, Record)]
             nxt = _START.search(data, at + 1)
             at = nxt.start() if nxt else len(data)
             continue
         if lost is not None:
-            yield Gap(lost, at, why)
+            # bytes that a damaged member stores as they are may be read again
+            again = [(x.headers, x.block) for x in records if isinstance(x, Record)]
+            partial = [(stop, x) for stop, x in partial if stop <= at or (x.headers, x.block) not in again]
+            yield from quarantined(at)
             lost = None
         yield from records
         at = end
     if lost is not None:
-        yield Gap(lost, len(data), why)
+        yield from quarantined(len(data))
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

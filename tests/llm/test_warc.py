@@ -100,3 +100,32 @@ def test_round_trip(spark, tmp_path, monkeypatch):
     assert {r.record_type for r in back if r.page_id in (None, 3)} == {"response"}
     assert next(bytes(r.payload) for r in back if r.page_id == 7) == other.encode()
     assert warc.round_trip(pages.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("how", ["digest", "version", "length"])
+def test_a_damaged_record_in_a_member_costs_itself_alone(how):
+    rng = random.Random(1)
+    all_ = [bytes(rng.choice(b"abcdef \n") for _ in range(200)) for _ in range(20)]
+    raw = [plain(i, b) for i, b in enumerate(all_)]
+    if how == "digest":
+        raw[7] = raw[7][:-10] + b"?" + raw[7][-9:]
+    elif how == "version":
+        raw[7] = b"X" + raw[7][1:]
+    else:
+        raw[7] = raw[7].replace(b"\r\nContent-Length: ", b"\r\nContent-Length: 9", 1)
+    data = gzip.compress(b"".join(raw))
+    found = list(warc.salvage(data + warc.member(plain(99, b"after"))))
+    assert bodies(found) == all_[:7] + all_[8:] + [b"after"]
+    gaps = [x for x in found if isinstance(x, warc.Gap)]
+    assert [(g.start, g.end) for g in gaps] == [(0, len(data))]
+
+
+def test_a_cut_member_keeps_its_whole_records():
+    rng = random.Random(2)
+    all_ = [bytes(rng.randrange(256) for _ in range(300)) for _ in range(30)]
+    data = gzip.compress(b"".join(plain(i, b) for i, b in enumerate(all_)))
+    cut = data[: len(data) * 2 // 3]
+    found = list(warc.salvage(cut))
+    got = bodies(found)
+    assert len(got) >= 17 and got == all_[: len(got)]
+    assert isinstance(found[-1], warc.Gap) and (found[-1].start, found[-1].end) == (0, len(cut))
