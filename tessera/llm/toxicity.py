@@ -1,18 +1,18 @@
 """Toxicity by compression distance.
 
-Zstandard dictionaries are trained apart on ordinary and on toxic text. A text's windows of WINDOW words
-are compressed twice, after the ordinary dictionary with a neutral tail and after the same dictionary
-with the toxic one's strings as its tail; what a window saves the second time is its gain. Both have one
-set of entropy tables and equal distances, so a window without toxic strings gains nothing. Thresholds on
-the gains, and the weights of what passes them, are calibrated on labelled rows.
-
-The toxic dictionary is trained on the toxic texts' contrast: words that at least SHARE of the toxic
-texts hold, ODDS times as often as ordinary ones do.
+Two zstandard dictionaries are trained apart, one on toxic and one on ordinary text. A text's windows of
+WINDOW words are compressed after each of them, both behind one base dictionary of common strings, so that
+the two differ by what is peculiar to a class alone. A window's gain is the length that it saves with
+the toxic dictionary. Thresholds on the gains, and the weights of what passes them, are calibrated on
+labelled rows.
+
+The samples of a class's dictionary are its contrast: the stretches of its texts made of byte strings
+that at least SHARE of its texts hold, ODDS times as often as the other class's texts. Dictionaries of
+whole texts or of whole windows differ by chance more than by class.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,16 +25,21 @@ from pyspark.sql import functions as F
 
 WINDOW = 12
 LEVEL = 3
-ORDINARY_BYTES = 16_384
-TOXIC_BYTES = 1_024
-SHARE = 0.05
+BASE_BYTES = 16_384
+CLASS_BYTES = 2_048
+#: Bytes of a contrast string, the least share and count of a class's texts that hold it, and how much more often they do.
+STRING = 5
+SHARE = 0.02
+LEAST = 3
 ODDS = 8.0
 #: Labelled rows to fit on at most, those with the smallest hashes of their ids; longer texts aren't fitted on.
 TOXIC_ROWS = 2_000
 ORDINARY_ROWS = 4_000
 FIT_CHARS = 100_000
-#: Windows of ordinary text that its dictionary is trained on.
+#: Windows of ordinary text that the base dictionary is trained on.
 FIT_WINDOWS = 30_000
+#: A byte that no text has, to bring the two dictionaries to one length.
+FILL = b"\x01"
 
 
 def windows(text: str | None) -> list[bytes]:
@@ -42,6 +47,43 @@ def windows(text: str | None) -> list[bytes]:
     return [b" " + b" ".join(words[k : k + WINDOW]) + b" " for k in range(0, len(words), WINDOW)]
 
 
+def _spaced(text: str | None) -> np.ndarray:
+    return np.frombuffer(b" " + b" ".join((text or "").encode().lower().split()) + b" ", np.uint8)
+
+
+def _strings(data: np.ndarray) -> np.ndarray:
+    """The STRING bytes from each position on, as one number."""
+    n = max(len(data) - STRING + 1, 0)
+    out = np.zeros(n, np.int64)
+    for k in range(STRING):
+        out = out * 256 + data[k : k + n]
+    return out
+
+
+def _holders(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Strings, sorted, and how many texts hold each."""
+    if not texts:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.unique(np.concatenate([np.unique(_strings(t)) for t in texts]), return_counts=True)
+
+
+def _contrast(mine: list[np.ndarray], theirs: list[np.ndarray]) -> list[bytes]:
+    """Of each of a class's texts the stretches that its contrast strings make up."""
+    (own, n), (other, m) = _holders(mine), _holders(theirs)
+    at = np.minimum(np.searchsorted(other, own), max(len(other) - 1, 0))
+    there = np.where(other[at] == own, m[at], 0) if len(other) else np.zeros(len(own))
+    telling = own[(n >= max(LEAST, SHARE * len(mine))) & (n * (len(theirs) + 1.0) >= ODDS * len(mine) * (there + 0.5))]
+    out = []
+    for data in mine:
+        hit = np.isin(_strings(data), telling)
+        keep = np.zeros(len(data), bool)
+        for k in range(STRING):
+            keep[k : k + len(hit)] |= hit
+        if keep.any():
+            out.append(data[keep].tobytes())
+    return out
+
+
 def _train(size: int, samples: list[bytes]) -> bytes:
     """A trained dictionary; of samples too few for one their text's end."""
     try:
@@ -50,6 +92,16 @@ def _train(size: int, samples: list[bytes]) -> bytes:
         return b"".join(samples)[-size:]
 
 
+def _class_strings(samples: list[bytes]) -> bytes:
+    """The strings of a class's trained dictionary, without the entropy tables before them, which hold bytes that no sample has."""
+    trained = _train(CLASS_BYTES, samples)
+    known = frozenset(b"".join(samples))
+    start = len(trained)
+    while start and trained[start - 1] in known:
+        start -= 1
+    return trained[start:]
+
+
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
     kind = zstandard.DICT_TYPE_FULLDICT if content.startswith(b"\x37\xa4\x30\xec") else zstandard.DICT_TYPE_RAWCONTENT
     own = zstandard.ZstdCompressionDict(content or b" " * 8, dict_type=kind)
@@ -83,6 +135,7 @@ class Scorer:
         return np.array([len(a(w)) - len(b(w)) for w in windows(text)], np.int64)
 
     def features(self, text: str | None) -> np.ndarray:
+        """Mean gain, shares and counts of windows past the thresholds, the largest gain, the text's length."""
         g = self.gains(text)
         n = max(len(g), 1)
         low, high = int((g >= self.m.low).sum()), int((g >= self.m.high).sum())
@@ -111,38 +164,24 @@ def fit(texts: list[str | None], labels: list[int]) -> Model:
     """Dictionaries, thresholds and weights of labelled texts (1: toxic). Copies of a text count once."""
     rows = list(dict.fromkeys(zip(texts, labels, strict=True)))
     toxic, ordinary = [t for t, y in rows if y], [t for t, y in rows if not y]
-    mine, theirs = Counter(), Counter()
-    for group, count in ((toxic, mine), (ordinary, theirs)):
-        for t in group:
-            count.update(set((t or "").encode().lower().split()))
-    telling = {
-        w for w, k in mine.items()
-        if k >= max(2, SHARE * len(toxic)) and k / len(toxic) >= ODDS * (theirs[w] + 0.5) / (len(ordinary) + 1)
-    }
-    contrast = [b" " + b" ".join(w for w in (t or "").encode().lower().split() if w in telling) + b" " for t in toxic]
-    contrast = [c for c in contrast if len(c) > 8]
+    mine, theirs = [_spaced(t) for t in toxic], [_spaced(t) for t in ordinary]
+    strange, common = _class_strings(_contrast(mine, theirs)), _class_strings(_contrast(theirs, mine))
     plain = [w for t in ordinary for w in windows(t)]
     order = np.random.default_rng(0).permutation(len(plain))[:FIT_WINDOWS]
-    base = _train(ORDINARY_BYTES, [plain[k] for k in order])
-    trained = _train(TOXIC_BYTES, contrast) if contrast else b""
-    # the dictionary's strings follow its tables, which hold bytes that no text has
-    text_bytes = frozenset(b"".join(contrast))
-    start = len(trained)
-    while start and trained[start - 1] in text_bytes:
-        start -= 1
-    strings = trained[start:] or b"\x01"
+    base = _train(BASE_BYTES, [plain[k] for k in order])
+    size = max(len(strange), len(common), 1)
     none = np.zeros(7)
-    model = Model(base + b"\x01" * len(strings), base + strings, 2, 3, none, none + 1, np.zeros(8))
+    model = Model(base + common.rjust(size, FILL), base + strange.rjust(size, FILL), 2, 3, none, none + 1, np.zeros(8))
     scorer = model.scorer()
-    gains = np.concatenate([scorer.gains(t) for t in ordinary[:500]] or [np.zeros(1, int)])
-    model.low = max(2, int(np.quantile(gains, 0.95)) + 1) if len(gains) else 2
+    gains = np.concatenate([scorer.gains(t) for t in ordinary] or [np.zeros(1, int)])
+    model.low = max(1, int(np.quantile(gains, 0.95)) + 1) if len(gains) else 2
     model.high = max(model.low + 1, int(np.quantile(gains, 0.995)) + 1) if len(gains) else 3
     x = np.array([scorer.features(t) for t, _ in rows]).reshape(-1, 7)
     y = np.array([y for _, y in rows], float)
     if len(rows):
         model.mean, model.scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
         model.weights = _logistic((x - model.mean) / model.scale, y)
-    if not toxic or not len(telling):
+    if not toxic or not strange:
         share = (len(toxic) + 0.5) / (len(rows) + 1)
         model.weights = np.array([np.log(share / (1 - share)), *[0.0] * 7])
     return model
@@ -165,11 +204,14 @@ def fit_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def score_column(model: Model, text: Column) -> Column:
-    """The score of each text, 0 to 1; of null and empty texts that of a text without windows."""
-    def score(texts: pd.Series) -> pd.Series:
+    """The score of each text, 0 to 1; of null and empty texts that of a text without windows. An empty table gives no scores."""
+
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = model.scorer()
-        return pd.Series([scorer.score(t) for t in texts], dtype="float64")
+        for texts in batches:
+            yield pd.Series([scorer.score(t) for t in texts], dtype="float64")
 
+    score.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return F.pandas_udf(score, "double")(text)
 
 

@@ -63,3 +63,28 @@ def test_one_class_or_no_rows():
         model = tx.fit(texts, labels)
         score = model.scorer().score("some text")
         assert 0 <= score <= 1
+
+
+def test_words_of_a_toxic_stem_are_caught():
+    """No toxic word repeats as a whole: each has the stem and an ending of its own."""
+    rng, rows = random.Random(4), corpus(900, 4)
+    for k, (i, t, _) in enumerate(rows):
+        w = [x for x in t.split() if x not in INSULTS]
+        bad = k % 4 == 0
+        if bad:
+            for _ in range(max(3, len(w) // 30)):
+                w[rng.randrange(len(w))] = "lowei" + "".join(rng.choice(["an", "er", "ou", "ble", "st"]) for _ in range(3))
+        rows[k] = (i, " ".join(w), int(bad))
+    known, held = rows[:700], rows[700:]
+    scorer = tx.fit([t for _, t, _ in known], [y for _, _, y in known]).scorer()
+    said = [scorer.score(t) >= 0.5 for _, t, _ in held]
+    assert np.mean([s for s, (_, _, y) in zip(said, held, strict=True) if y]) > 0.9
+    assert np.mean([s for s, (_, _, y) in zip(said, held, strict=True) if not y]) < 0.03
+
+
+def test_drop_toxic_edges(spark):
+    rows = corpus(100, 5)
+    model = tx.fit([t for _, t, _ in rows], [y for _, _, y in rows])
+    docs = spark.createDataFrame([(1, None, 2.0), (None, "", 3.0), (2, "the an", None)], "doc_id long, text string, __score double")
+    assert sorted(map(str, tx.drop_toxic(docs, model).collect())) == sorted(map(str, docs.collect()))
+    assert tx.drop_toxic(docs.limit(0), model).collect() == []
