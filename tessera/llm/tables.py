@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import gc
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where spark.checkpoint.dir is unset, as in tests on one machine.
+#: Used only on one machine where spark.checkpoint.dir is unset, as in tests.
 LOCAL_SHARED = "/tmp/checkpoints/tessera"
 
 
@@ -20,8 +23,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session."""
-    return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SHARED
+    """The folder that driver and executors share: spark.checkpoint.dir of the session, or the context's checkpoint folder."""
+    sc = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if path:
+        return path
+    if sc.master == "local" or sc.master.startswith("local["):
+        return LOCAL_SHARED
+    raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
 
 
 def new_path(spark: SparkSession, label: str) -> str:
@@ -38,6 +47,7 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
+    _left[path] = spark.sparkContext
     del df
     gc.collect()
     spark.sparkContext._jvm.System.gc()
@@ -49,9 +59,25 @@ def discard(*frames: DataFrame) -> None:
     for df in frames:
         path = getattr(df, "_cut_path", None)
         if path:
-            sc = df.sparkSession.sparkContext
-            target = sc._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
+            _delete(path, df.sparkSession.sparkContext)
+
+
+#: Folders that cut() wrote and that are still there; a result's own table is read until the program ends.
+_left: dict[str, SparkContext] = {}
+
+
+def _delete(path: str, sc: SparkContext) -> None:
+    target = sc._jvm.org.apache.hadoop.fs.Path(path)
+    conf = sc._jsc.hadoopConfiguration() if sc._jsc is not None else sc._jvm.org.apache.hadoop.conf.Configuration()
+    target.getFileSystem(conf).delete(target, True)
+    _left.pop(path, None)
+
+
+@atexit.register
+def _discard_left() -> None:
+    for path, sc in list(_left.items()):
+        with contextlib.suppress(Exception):
+            _delete(path, sc)
 
 
 def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:

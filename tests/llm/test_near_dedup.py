@@ -93,3 +93,16 @@ def test_connected(spark):
     got = {r.node: r.component for r in connected(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for a, b in edges if a != b for x in (a, b)}
     assert connected(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_repeated_ids_keep_the_links_of_each_text(spark):
+    a, b = (" ".join(f"{k}{n}" for n in range(60)) for k in "ab")
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " x"), (4, "other words " * 9)]
+    got = nd.near_duplicates(spark.createDataFrame([(i, t, "x", 1) for i, t in rows], SCHEMA)).collect()
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 1, 3: 1, 4: 4}
+
+
+def test_pairs_under_the_match_threshold_are_not_retained(spark):
+    sigs = spark.createDataFrame([(1, list(range(48))), (2, list(range(26)) + [-1] * 22), (3, list(range(25)) + [-1] * 23)], "cls long, sig array<long>")
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (2, 3)], "a long, b long")
+    assert {(r.a, r.b) for r in nd._collisions(pairs, sigs).collect()} == {(1, 2), (2, 3)}
