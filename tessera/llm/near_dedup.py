@@ -168,11 +168,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tied = same_id.join(lows, "id").where("cls <> lo").select(F.col("lo").alias("a"), F.col("cls").alias("b"))
 
     parts = sigs.select("cls", F.col("cls").alias("component"))
-    held = [cut(_merged(parts, tied), "parts")]
     for step in ("central", "drawn", "rest"):
-        parts = held[-1]
         at = cut(_open_lists(posted, parts), "open")
-        if at.isEmpty():
+        if step != "central" and at.isEmpty():
             discard(at)
             break
         if step == "rest":
@@ -188,17 +186,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             lead = at.groupBy("token").agg(F.max_by("cls", draw).alias("lead"), F.max_by("component", draw).alias("other"))
             pairs = at.join(lead, "token").where("component <> other").select(F.least("cls", "lead").alias("a"), F.greatest("cls", "lead").alias("b")).distinct()
             new = _verified(_collisions(pairs, sigs), texts)
-        found = cut(new, "links")
-        held.append(cut(_merged(parts, found), "parts"))
+        found = cut(new.union(tied) if step == "central" else new, "links")
+        now = cut(_merged(parts, found), "parts")
         discard(at, found, parts)
+        parts = now
 
-    members = held[-1].join(sigs.select("cls", "rep"), "cls")
+    members = parts.join(sigs.select("cls", "rep"), "cls")
     low = members.groupBy("component").agg(F.min("rep").alias("component_id"))
-    by_class = held[-1].join(low, "component").select("cls", "component_id")
+    by_class = parts.join(low, "component").select("cls", "component_id")
     out = signed.select("id", "n", cls).join(by_class, "cls", "left")
     component = F.when(F.col("n") > 0, F.when(F.col("id").isNotNull(), F.col("component_id"))).otherwise(F.col("id"))
     out = cut(out.select("id", F.col("n").alias("n_shingles"), component.alias("component_id")), "near")
-    discard(signed, sigs, posted, texts, held[-1])
+    discard(signed, sigs, posted, texts, parts)
     return out.select(
         F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept")
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import gc
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -16,6 +17,11 @@ from pyspark.sql import functions as F
 
 #: Used only on one machine where spark.checkpoint.dir is unset, as in tests.
 LOCAL_SHARED = "/tmp/checkpoints/tessera"
+#: Shuffle files are released at most this often.
+GC_SECONDS = 5
+_collected = 0.0
+#: Edges up to which one task finds components; more take the distributed steps.
+ONE_TASK = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,8 +55,11 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     out._cut_path = path
     _left[path] = spark.sparkContext
     del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    global _collected
+    if time.monotonic() - _collected > GC_SECONDS:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        _collected = time.monotonic()
     return out
 
 
@@ -102,17 +111,40 @@ def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+def _components(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(u, v) per node that isn't its component's smallest one, v; of all edges (u, v), ONE_TASK at most."""
+    edges = [(u, v) for batch in batches for u, v in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (y := root.setdefault(x, x)) != x:
+            root[x] = root[y]
+            x = y
+        return x
+
+    for u, v in edges:
+        x, y = find(u), find(v)
+        root[max(x, y)] = min(x, y)
+    nodes = [x for x in root if find(x) != x]
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], ["u", "v"])
+
+
 def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of the undirected edges; component is the smallest reachable node.
 
     Alternating large-star and small-star steps, each one written to the shared folder; the number of
     rounds grows with the logarithm of the longest chain, and no step gathers a node's neighbours.
-    Self-loops and nulls are ignored; no edges give no rows.
+    ONE_TASK edges or fewer (counted) are worked off by one task instead. Self-loops and nulls are
+    ignored; no edges give no rows.
     """
     cur = cut(
-        edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u is not null and v is not null and u <> v").distinct(),
+        edges.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).where("u is not null and v is not null and u <> v").distinct(),
         "edges",
     )
+    if cur.count() <= ONE_TASK:
+        stars = cut(cur.coalesce(1).mapInArrow(_components, "u long, v long"), "stars")
+        discard(cur)
+        return _nodes(stars)
     while not _is_forest_of_stars(cur):
         both = cur.union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -122,8 +154,12 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         new = cut(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "stars")
         discard(cur)
         cur = new
-    roots = cur.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return cur.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+    return _nodes(cur)
+
+
+def _nodes(stars: DataFrame) -> DataFrame:
+    roots = stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
 
 
 def _is_forest_of_stars(edges: DataFrame) -> bool:

@@ -3,6 +3,7 @@ import random
 import pytest
 
 from tessera.llm import near_dedup as nd
+from tessera.llm import tables
 from tessera.llm.tables import connected
 
 SCHEMA = "doc_id long, text string, component_id string, sig int"
@@ -82,7 +83,9 @@ def test_drop_keeps_columns(spark):
     assert sorted(r.doc_id for r in out.collect()) == [1, 3]
 
 
-def test_connected(spark):
+@pytest.mark.parametrize("one_task", [0, tables.ONE_TASK])
+def test_connected(spark, monkeypatch, one_task):
+    monkeypatch.setattr(tables, "ONE_TASK", one_task)
     rng = random.Random(5)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(k, k + 1) for k in range(300, 360)]
     label = {}
