@@ -85,9 +85,11 @@ def _share(nodes: DataFrame, parent: list[str], name: str) -> DataFrame:
 def leaf_budgets(tokens: DataFrame, plan: Plan) -> DataFrame:
     """(domain, lang, source, tokens, budget) per leaf of (domain, lang, source, n_tokens) rows."""
     leaves = tokens.groupBy("domain", "lang", "source").agg(F.sum("n_tokens").alias("tokens"))
-    leaves = leaves.withColumns({"cap": F.col("tokens") * plan.max_epochs, "w": _weight(F.col("source"), plan.sources, plan.other)})
+    # a node of weight 0 takes nothing, so its parents can't count on it
+    able = lambda cap: F.when(F.col("w") > 0, cap).otherwise(F.lit(0)).cast("long")
+    leaves = leaves.withColumn("w", _weight(F.col("source"), plan.sources, plan.other)).withColumn("cap", able(F.col("tokens") * plan.max_epochs))
     langs = leaves.groupBy("domain", "lang").agg(F.sum("cap").alias("cap"), F.sum("tokens").alias("tokens"))
-    langs = langs.withColumn("w", _weight(F.col("lang"), plan.langs, plan.other))
+    langs = langs.withColumn("w", _weight(F.col("lang"), plan.langs, plan.other)).withColumn("cap", able(F.col("cap")))
     domains = langs.groupBy("domain").agg(F.sum("cap").alias("cap"), F.sum("tokens").alias("tokens"))
     domains = domains.withColumn("w", _weight(F.col("domain"), plan.domains, plan.other))
     whole = F.sum("tokens").over(W.partitionBy(F.lit(0)))
@@ -159,7 +161,8 @@ def keep_mixed(docs: DataFrame, plan: Plan, id_col: str = "doc_id", text_col: st
     """docs once for each epoch that has any of the document's tokens, columns as they are; the prefix's last document stays whole.
 
     Rows with a null id are kept once, as are documents without tokens. Repeated ids count as one
-    document, with the most copies that mix_sources() gives to any of them.
+    document, with the most copies that mix_sources() gives to any of them. Columns of docs may have any
+    name but __id, __copies and __copy. An empty table gives no rows.
     """
     drawn = mix_sources(docs, plan, id_col, text_col)
     n = F.col("epochs") + F.when(F.col("prefix_tokens") > 0, 1).otherwise(0)
@@ -188,13 +191,13 @@ def oracle_sql(plan: Plan = Plan()) -> str:
                   from ({nodes}))))))"""
 
     total = str(plan.budget_tokens) if plan.budget_tokens is not None else f"(sum(tokens) over ()) * {plan.per_mille} // 1000"
-    domains = f"select domain, tokens, cap, {weight('domain', plan.domains)} as w, {total} as total from (select domain, sum(tokens) as tokens, sum(cap) as cap from leaf group by 1)"
+    domains = f"select domain, tokens, cap, {weight('domain', plan.domains)} as w, {total} as total from (select domain, sum(tokens) as tokens, sum(case when {weight('lang', plan.langs)} > 0 then cap else 0 end) as cap from leaf group by 1)"
     langs = f"select l.domain, l.lang, l.tokens, l.cap, {weight('l.lang', plan.langs)} as w, d.budget as total from (select domain, lang, sum(tokens) as tokens, sum(cap) as cap from leaf group by 1, 2) l join dom d using (domain)"
     leaves = f"select l.domain, l.lang, l.source, l.tokens, l.cap, {weight('l.source', plan.sources)} as w, g.budget as total from leaf l join lng g on l.domain = g.domain and l.lang = g.lang"
     return f"""
     with tok as (select doc_id, 'd' || (ascii(right(coalesce(source, '{MISSING}'), 1)) % 3) as domain, coalesce(lang, '{MISSING}') as lang, coalesce(source, '{MISSING}') as source,
         coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint as n_tokens from documents),
-    leaf as (select domain, lang, source, sum(n_tokens)::hugeint as tokens, sum(n_tokens)::hugeint * {plan.max_epochs} as cap from tok group by 1, 2, 3),
+    leaf as (select domain, lang, source, sum(n_tokens)::hugeint as tokens, case when {weight('source', plan.sources)} > 0 then sum(n_tokens)::hugeint * {plan.max_epochs} else 0 end as cap from tok group by 1, 2, 3),
     dom as ({share(domains, '', 'domain')}),
     lng as ({share(langs, 'domain', 'lang')}),
     src as ({share(leaves, 'domain, lang', 'source')}),

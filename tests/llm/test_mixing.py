@@ -103,3 +103,14 @@ def test_no_python_in_the_plan(spark, capsys):
     out = mx.mix_sources(table(spark, corpus(1, 20)))
     out.explain("formatted")
     assert not any(w in capsys.readouterr().out for w in ("Python", "Pandas", "Arrow"))
+
+
+def test_a_leaf_of_weight_0_does_not_swallow_its_domains_budget(spark):
+    """d0 has one source of weight 0; what d0 can't place goes to d1."""
+    rows = [(k, "w " * 10, "en", s) for k, s in enumerate(["src0"] * 10 + ["src3"] * 20 + ["src1"] * 30)]
+    plan = mx.Plan(budget_tokens=300, domains={"d0": 9, "d1": 1}, sources={"src3": 0}, max_epochs=1)
+    names = {s: mx.F.concat(mx.F.lit("d"), (mx.F.ascii(mx.F.right(mx.F.lit(s), mx.F.lit(1))) % 3).cast("string")) for s in ("src0", "src3", "src1")}
+    assert {spark.range(1).select(c).first()[0] for s, c in names.items() if s != "src1"} == {"d0"}
+    got = mx.mix_sources(table(spark, rows), plan).collect()
+    assert sum(r.selected_tokens for r in got) == 300
+    assert sum(r.selected_tokens for r in got if r.source == "src3") == 0
