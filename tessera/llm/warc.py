@@ -78,11 +78,14 @@ class Record:
     block: bytes
 
     def payload(self) -> tuple[bytes, dict[str, str]]:
-        """The block without its HTTP header, and that header; a block without one is all payload."""
+        """The block without its HTTP header, and that header; a block without one, or with one that can't be read, is all payload."""
         if not self.headers.get("content-type", "").startswith("application/http"):
             return self.block, {}
         head, mark, body = self.block.partition(b"\r\n\r\n")
-        return (body, _fields(head.split(b"\r\n")[1:])) if mark else (self.block, {})
+        try:
+            return (body, _fields(head.split(b"\r\n")[1:])) if mark else (self.block, {})
+        except Damaged:
+            return self.block, {}
 
 
 @dataclass
@@ -96,6 +99,12 @@ class Damaged(ValueError):
     pass
 
 
+def _number(text: str) -> int | None:
+    """The number that text states in plain digits, if 64 bits hold it."""
+    found = int(text) if re.fullmatch(r"-?[0-9]{1,19}", text) else None
+    return found if found is not None and -(1 << 63) <= found < 1 << 63 else None
+
+
 def _fields(lines: list[bytes]) -> dict[str, str]:
     out = {}
     for line in lines:
@@ -116,10 +125,10 @@ def _frame(raw: bytes, at: int) -> tuple[dict[str, str], int, int] | None:
     if stop < 0:
         return None
     headers = _fields(raw[at:stop].split(b"\r\n")[1:])
-    length = headers.get("content-length", "")
-    if not length.isdigit():
+    length = _number(headers.get("content-length", ""))
+    if length is None or length < 0:
         raise Damaged("no content length")
-    end = stop + 4 + int(length)
+    end = stop + 4 + length
     if len(raw) < end + 4:
         return None
     if raw[end : end + 4] != b"\r\n\r\n":
@@ -294,8 +303,7 @@ _READ = "archive string, kind string, start long, stop long, reason string, page
 
 
 def _page(ref: str | None) -> int | None:
-    text = (ref or "").strip("<>").removeprefix(_URN)
-    return int(text) if re.fullmatch(r"-?\d+", text) else None
+    return _number((ref or "").strip("<>").removeprefix(_URN))
 
 
 def _unpack(with_payload: bool):
@@ -312,7 +320,7 @@ def _unpack(with_payload: bool):
         return {
             "archive": path, "kind": "record", "start": x.start, "stop": x.end, "page_id": _page(x.headers.get("warc-record-id")),
             "record_type": x.headers.get("warc-type"), "refers_to": _page(x.headers.get("warc-refers-to")), "url": x.headers.get("warc-target-uri"),
-            "payload_bytes": int(length) if length.isdigit() else None,
+            "payload_bytes": _number(length),
             "payload_digest": x.headers.get("warc-payload-digest", "").rpartition(":")[2].lower() if revisit else hashlib.sha256(body).hexdigest(),
             "payload": None if revisit or not with_payload else body,
         }

@@ -129,3 +129,16 @@ def test_a_cut_member_keeps_its_whole_records():
     got = bodies(found)
     assert len(got) >= 17 and got == all_[: len(got)]
     assert isinstance(found[-1], warc.Gap) and (found[-1].start, found[-1].end) == (0, len(cut))
+
+
+@pytest.mark.parametrize("length", ["²", "9" * 5000, "-1", "", "٣", "9" * 19])
+def test_odd_lengths_are_damage(length):
+    good = [warc.record(k, "u", b"x" * 50, hashlib.sha256(b"x" * 50).hexdigest(), None) for k in range(2)]
+    bad = b"WARC/1.1\r\nContent-Length: " + length.encode() + b"\r\n\r\n\r\n\r\n"
+    found = list(warc.salvage(good[0] + bad + good[1]))
+    assert [type(x).__name__ for x in found] == ["Record", "Gap", "Record"]
+
+
+def test_an_http_header_that_cannot_be_read_is_payload():
+    x = warc.Record(0, 1, {"content-type": "application/http"}, b"HTTP/1.1 200 OK\r\nno colon\r\n\r\nbody")
+    assert x.payload() == (x.block, {})
