@@ -192,22 +192,42 @@ def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([ids[at : at + 256], pa.array(media, pa.binary())], ["id", "media"])
 
 
+_CLIPS = pa.list_(pa.struct([("clip", pa.int64()), ("first_frame", pa.int64()), ("end_frame", pa.int64()), ("start_s", pa.float64()), ("end_s", pa.float64())]))
 _FEATURES = pa.schema(
     [("id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()),
-     ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("n_frames", pa.int64()), ("n_shots", pa.int64())]
+     ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("n_frames", pa.int64()), ("n_shots", pa.int64()), ("clips", _CLIPS), ("error", pa.string())]
 )
+#: What reading a file that is no AVI, or one with a bad frame, raises.
+_UNREADABLE = (BadMedia, BadFrame, struct.error, IndexError, KeyError)
+
+
+def _timed(m: Media) -> list[dict]:
+    return [
+        {"clip": n, "first_frame": a, "end_frame": b, "start_s": a / m.rate, "end_s": b / m.rate}
+        for n, (a, b) in enumerate(zip(m.shots, [*m.shots[1:], m.n_frames][: len(m.shots)], strict=True))
+    ]
+
+
+def _feature_row(media: bytes | None) -> dict:
+    if media is None:
+        return {"error": "no file"}
+    out = {"media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest()}
+    try:
+        m = read_avi(media)
+    except _UNREADABLE as e:
+        return out | {"error": f"{type(e).__name__}: {e}"}
+    top = int(round(1000 * float(m.steps.max()))) if len(m.steps) else 0
+    feature = f"{m.n_frames} frames, shots at {' '.join(f'{s / m.rate:.2f}' for s in m.shots)} s, largest step {top}"
+    return out | {
+        "n_bytes": m.used, "payload_bytes": len(m.samples), "payload_sha256": hashlib.sha256(m.samples).hexdigest(), "tail_crc32": zlib.crc32(m.samples[-64:]),
+        "feature": feature, "n_frames": m.n_frames, "n_shots": len(m.shots), "clips": _timed(m),
+    }
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = []
-        for media in batch.column(1):
-            data = media.as_buffer().to_pybytes()
-            m = read_avi(data)
-            top = int(round(1000 * float(m.steps.max()))) if len(m.steps) else 0
-            feature = f"{m.n_frames} frames, shots at {' '.join(f'{s / m.rate:.2f}' for s in m.shots)} s, largest step {top}"
-            rows.append((m.used, len(m.samples), hashlib.sha256(m.samples).hexdigest(), zlib.crc32(m.samples[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature, m.n_frames, len(m.shots)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 9, _FEATURES.types[1:], strict=True))], schema=_FEATURES)
+        rows = [_feature_row(media.as_buffer().to_pybytes() if media.is_valid else None) for media in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r.get(f.name) for r in rows], f.type) for f in list(_FEATURES)[1:])], schema=_FEATURES)
 
 
 def with_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -217,9 +237,16 @@ def with_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def media_features(media: DataFrame) -> DataFrame:
-    """The digest of each file of with_media(), from the bytes and frames read back: one row per row, null ids included."""
-    out = "id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames long, n_shots long"
-    return media.select("id", "media").mapInArrow(_features, out)
+    """The digest and timed clips of each file (id, media), from the bytes and frames read back: one row per row, null ids included.
+
+    A null file, one that is no AVI, or one with a frame that can't be decoded has an error and nulls for
+    what wasn't read. Other columns aren't read; an empty table gives no rows.
+    """
+    out = (
+        "id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames long, n_shots long, "
+        "clips array<struct<clip:long,first_frame:long,end_frame:long,start_s:double,end_s:double>>, error string"
+    )
+    return media.select(F.col("id").cast("long").alias("id"), "media").mapInArrow(_features, out)
 
 
 def _clips(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,10 +254,9 @@ def _clips(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for k, media in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             try:
-                m = read_avi(media.as_buffer().to_pybytes() if media.is_valid else b"")
-                ends = [*m.shots[1:], m.n_frames]
-                rows += [(k, n, a, b, a / m.rate, b / m.rate, None) for n, (a, b) in enumerate(zip(m.shots, ends, strict=bool(m.shots)))] or [(k, None, None, None, None, None, "no frames")]
-            except (BadMedia, BadFrame, struct.error, IndexError, KeyError) as e:
+                found = _timed(read_avi(media.as_buffer().to_pybytes() if media.is_valid else b""))
+                rows += [(k, *c.values(), None) for c in found] or [(k, None, None, None, None, None, "no frames")]
+            except _UNREADABLE as e:
                 rows.append((k, None, None, None, None, None, f"{type(e).__name__}: {e}"))
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.string()]
         names = ["id", "clip", "first_frame", "end_frame", "start_s", "end_s", "error"]

@@ -57,13 +57,15 @@ def _hex(text: str) -> list[int]:
 
 class Bits:
     def __init__(self, data: bytes):
-        self.value, self.left = int.from_bytes(data, "big"), 8 * len(data)
+        self.data, self.at, self.stop = data, 0, 8 * len(data)
 
     def take(self, n: int) -> int:
-        self.left -= n
-        if self.left < 0:
+        """The next n bits (32 at most), from the few bytes that hold them."""
+        first, self.at = self.at, self.at + n
+        if self.at > self.stop:
             raise BadFrame("the scan ends too early")
-        return (self.value >> self.left) & ((1 << n) - 1)
+        end = (self.at + 7) >> 3
+        return (int.from_bytes(self.data[first >> 3 : end], "big") >> (8 * end - self.at)) & ((1 << n) - 1)
 
     def symbol(self, table: Huffman) -> int:
         code = 0

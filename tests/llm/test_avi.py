@@ -134,3 +134,20 @@ def test_clips(spark):
         got.setdefault(r.id, []).append(r)
     assert [(r.first_frame, r.end_frame, r.start_s, r.end_s) for r in got[1]] == [(0, 10, 0.0, 0.4), (10, 15, 0.4, 0.6)]
     assert all(got[k][0].error for k in (2, 3, 4)) and set(got) == {1, 2, 3, 4, 5, 6}
+
+
+def test_features_of_null_and_bad_files(spark):
+    good = avi.write_avi(avi.pad(b"some text"), 9)
+    rows = [(1, None, "x"), (2, b"", "x"), (3, b"RIFFjunk", "x"), (None, good, "x"), (4, good[:-30], "x")]
+    got = {r.id: r for r in avi.media_features(spark.createDataFrame(rows, "id long, media binary, feature string")).collect()}
+    assert len(got) == 5 and got[None].error is None and got[None].clips[0].start_s == 0 and got[None].clips[-1].end_frame == got[None].n_frames
+    assert all(got[k].error and got[k].feature is None and got[k].clips is None for k in (1, 2, 3))
+    assert avi.media_features(spark.createDataFrame([], "id long, media binary")).collect() == []
+
+
+def test_bits_are_read_in_linear_time():
+    from tessera.llm.jpeg import Bits
+
+    data = bytes(range(256)) * 40
+    bits, whole = Bits(data), int.from_bytes(data, "big")
+    assert [bits.take(n) for n in (3, 8, 1, 16, 0, 12)] == [0, 0, 0, (whole >> (8 * len(data) - 28)) & 0xFFFF, 0, (whole >> (8 * len(data) - 40)) & 0xFFF]
