@@ -44,9 +44,21 @@ class Family:
     trainable: bool = True
     additive_offset: bool = True
     clips_eta: bool = True
+    #: What a family of the user's own brings along (see register): limits as bounds() returns them, and the likelihood
+    #: and its derivatives' weights as columns (x, eta, s) and as arrays, as ll_col, weight_cols, ll_np and weights_np return them.
+    limits: Callable[[str, float], dict[str, tuple[float, float]]] | None = None
+    ll_column: Callable[[Column, Column, Column | None], Column] | None = None
+    weight_columns: Callable[[Column, Column, Column | None], dict[str, Column]] | None = None
+    ll_array: Callable | None = None
+    weight_arrays: Callable | None = None
+    #: Names of the location, the scale and what derives from them, for Model.
+    location_name: str = "location"
+    scale_name: str = "scale"
 
     def bounds(self, dtype: str = "float64", margin: float = MARGIN) -> dict[str, tuple[float, float]]:
         """Limits of parameters, predictors and likelihood terms in the given precision."""
+        if self.limits is not None:
+            return self.limits(dtype, margin)
         info = np.finfo(dtype)
         top, tiny = float(info.max), float(np.nextafter(np.dtype(dtype).type(0), np.dtype(dtype).type(1)))
         log_low, log_high = math.log(tiny) / margin, math.log(top) / margin
@@ -73,13 +85,24 @@ class Family:
 
 
 _log = dict(link_scale=ln_or_inf, inverse_scale=F.exp)
-NB = Family("nb", ln_or_inf, F.exp, **_log)
-POISSON = Family("poisson", ln_or_inf, F.exp, **_log, has_scale=False)
-NORM = Family("norm", lambda c: c, lambda c: c, **_log, additive_offset=False, clips_eta=False)
-BETA = Family("beta", lambda c: F.ln(c / (1 - c)), lambda c: 1 / (1 + F.exp(-c)), **_log, trainable=False, clips_eta=False)
+NB = Family("nb", ln_or_inf, F.exp, **_log, location_name="mu", scale_name="phi")
+POISSON = Family("poisson", ln_or_inf, F.exp, **_log, has_scale=False, location_name="lam")
+NORM = Family("norm", lambda c: c, lambda c: c, **_log, additive_offset=False, clips_eta=False, location_name="mean", scale_name="sd")
+BETA = Family("beta", lambda c: F.ln(c / (1 - c)), lambda c: 1 / (1 + F.exp(-c)), **_log, trainable=False, clips_eta=False, location_name="mean", scale_name="samplesize")
 FAMILIES = {f.name: f for f in (NB, POISSON, NORM, BETA)}
 
 
+def register(fam: Family) -> Family:
+    """Add a family of one's own by its name. It needs limits and the likelihood and weights as columns; to be fitted, also as arrays."""
+    if fam.name in FAMILIES:
+        raise ValueError(f"there is a family {fam.name!r}")
+    missing = [k for k in ("limits", "ll_column", "weight_columns", *(("ll_array", "weight_arrays") if fam.trainable else ())) if getattr(fam, k) is None]
+    if missing:
+        raise ValueError(f"the family {fam.name!r} lacks {', '.join(missing)}")
+    FAMILIES[fam.name] = fam
+    return fam
+
+
 def family(name: str | Family) -> Family:
     if isinstance(name, Family):
         return name
@@ -93,6 +116,8 @@ def family(name: str | Family) -> Family:
 
 def ll_col(fam: Family, x: Column, eta: Column, s: Column | None = None, compat: bool = False) -> Column:
     """Log-likelihood of a value, clipped as the family's bounds say."""
+    if fam.ll_column is not None:
+        return fam.ll_column(x, eta, s)
     low, high = fam.bounds()["ll"]
     if fam.name == "nb":
         mu, r = F.exp(eta), F.exp(s)
@@ -114,6 +139,8 @@ def ll_col(fam: Family, x: Column, eta: Column, s: Column | None = None, compat:
 
 def weight_cols(fam: Family, x: Column, eta: Column, s: Column | None = None) -> dict[str, Column]:
     """fim_ll, ybar, jac_scale, hess_ll, hess_ls, hess_ss and fim_ss of a value; those that the family lacks are left out."""
+    if fam.weight_columns is not None:
+        return fam.weight_columns(x, eta, s)
     if fam.name == "poisson":
         lam = F.exp(eta)
         return {"fim_ll": lam, "ybar": (x - lam) / lam, "hess_ll": -lam}
@@ -142,6 +169,8 @@ def weight_cols(fam: Family, x: Column, eta: Column, s: Column | None = None) ->
 
 
 def ll_np(fam: Family, x, eta, s=None, compat: bool = False) -> np.ndarray:
+    if fam.ll_array is not None:
+        return fam.ll_array(x, eta, s)
     with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
         low, high = fam.bounds()["ll"]
         if fam.name == "nb":
@@ -161,6 +190,8 @@ def ll_np(fam: Family, x, eta, s=None, compat: bool = False) -> np.ndarray:
 
 
 def weights_np(fam: Family, x, eta, s=None) -> dict[str, np.ndarray]:
+    if fam.weight_arrays is not None:
+        return fam.weight_arrays(x, eta, s)
     with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
         if fam.name == "poisson":
             lam = np.exp(eta)

@@ -136,11 +136,11 @@ def num_obs_features(spark, sf_dir):
     return counts.withColumns({"num_features": F.lit(inp.num_features).cast("long"), "num_loc_params": F.lit(inp.num_loc_params).cast("long"), "num_scale_params": F.lit(inp.num_scale_params).cast("long")})
 
 
-@query("select o_orderkey as obs_id, (dense_rank() over (order by o_orderpriority))::int as level from orders qualify o_orderkey % 7 = 0")
+@query("select o_orderkey as obs_id, (dense_rank() over (order by o_orderpriority))::int as level from orders qualify o_orderstatus = 'F'")
 def fetch_design(spark, sf_dir):
-    """Design rows of some observations, as the level that each has."""
+    """Design rows of the finished orders, as the level that each has."""
     inp = order_qty(spark, sf_dir, "~0+p")
-    some = inp.design.select("obs_id").where("obs_id % 7 = 0")
+    some = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("obs_id"))
     return inp.fetch(some).select("obs_id", F.array_position("loc", F.lit(1.0)).cast("int").alias("level"))
 
 

@@ -21,8 +21,10 @@ from tessera.plans.formula import Design
 
 logger = logging.getLogger("tessera")
 
-#: Distinct design rows that closed forms and sparse zeros are worked out for.
+#: Distinct design rows that closed forms are worked out for, and up to which sparse zeros are spread without a join.
 MAX_GROUPS = 500
+#: Blocks of design rows beyond that.
+BLOCKS = 64
 
 
 def parse_design(design, names: Sequence[str] | None = None) -> tuple[np.ndarray, list[str]]:
@@ -104,7 +106,10 @@ class GlmInput:
             return F.array(*[F.col(c).cast("double") for c in d]), list(d)
 
         (loc_array, loc_names), (scale_array, scale_names) = side(loc), side(scale)
-        sf = F.lit(None).cast("double") if size_factor_col is None else F.col(size_factor_col).cast("double")
+        sf = F.lit(None).cast("double")
+        if size_factor_col is not None:
+            given = F.col(size_factor_col).cast("double")
+            sf = F.when(given.isNotNull(), given).otherwise(F.raise_error(F.lit("a size factor is null; every observation needs one")))
         rows = design.select(F.col(obs_col).alias("obs_id"), loc_array.alias("loc"), scale_array.alias("scale"), sf.alias("size_factor"))
         long = x.select(F.col(obs_col).alias("obs_id"), F.col(feature_col).cast("string").alias("feature"), value.alias("x"))
         return GlmInput(long, rows, loc_names, scale_names, constraints_loc, constraints_scale, kind, size_factor_col is not None)
@@ -258,8 +263,10 @@ class GlmInput:
         if not groups:
             return rows
         if len(groups) > MAX_GROUPS:
-            logger.info("more than %d distinct design rows: zeros are counted by a join with them", MAX_GROUPS)
-            full = self.features().crossJoin(self.groups())
+            # every feature has zeros for every design row; blocks of design rows spread them over tasks
+            blocks = F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("block")
+            by_block = self.groups().withColumn("block", F.pmod(F.xxhash64("loc", "scale", "size_factor"), F.lit(BLOCKS)).cast("int"))
+            full = self.features().select("feature", blocks).join(by_block, "block").drop("block")
         else:
             lit = lambda v: F.lit(None).cast("double") if v is None else F.lit(float(v))
             each = F.explode(F.array(*[F.struct(F.array(*map(lit, g["loc"])).alias("loc"), F.array(*map(lit, g["scale"])).alias("scale"), lit(g["size_factor"]).alias("size_factor"), F.lit(g["n_obs"]).alias("n_obs")) for g in groups]))
