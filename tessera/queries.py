@@ -384,9 +384,15 @@ def norm_hessian(spark, sf_dir):
     return square(kernels.hessian(*_norm_params(spark, sf_dir), "norm"), "hessian")
 
 
-@query()
+@query(f"""with {QTY}, {_NBV}, h as (select x, sum(1.0 / (exp(-0.5::double) + i)) as h1, sum(1.0 / power(exp(-0.5::double) + i, 2)) as h2
+  from (select distinct x from v where x > 0) cross join range(100000) t(i) where i < x group by 1),
+{_one_factor_sums('v', 'mu * (x / r + 1) / power(mu / r + 1, 2)', '-', 3)}
+union all (with b as (select feature, i.g as k, sum(case when i.g = 0 or i.g = v.g then mu * r * (x - mu) / power(r + mu, 2) else 0 end) as s from v cross join k i group by 1, 2)
+  select feature, k::int, (select count(*) from k)::int, round(s, 3) + 0.0 from b union all select feature, (select count(*) from k)::int, k::int, round(s, 3) + 0.0 from b)
+union all select feature, (select count(*) from k)::int, (select count(*) from k)::int,
+  round(sum(r * (coalesce(h1, 0) - r * coalesce(h2, 0) - (mu * (r + v.x) + 2 * r * (r + mu)) / power(r + mu, 2) + s + 2 - ln(r + mu))), 3) + 0.0 from v left join h on h.x = v.x group by 1""")
 def nb_hessian(spark, sf_dir):
-    """Needs trigamma, which the SQL engine lacks; tests hold it against finite differences."""
+    """Quantities are whole numbers, so differences of digamma and trigamma are sums in the SQL."""
     return square(kernels.hessian(*_nb_params(spark, sf_dir), "nb"), "hessian", 3)
 
 
@@ -420,9 +426,19 @@ def poisson_fit(spark, sf_dir):
     return coefficients(fits.fit_poisson(order_brand(spark, sf_dir), init_location="standard"), "theta_loc", 5)
 
 
-@query()
+@query(f"""with recursive {BRAND}, v as (select feature, x, g, dense_rank() over (order by st) - 1 as t from brand),
+n as (select g, t, count(*) as n from v where feature = (select min(feature) from v) group by 1, 2),
+xg as (select feature, g, sum(x) as x from v group by 1, 2), xt as (select feature, t, sum(x) as x from v group by 1, 2),
+fit(step, feature, t, b) as (select 0, feature, t, 1.0::double from xt
+  union all (with a as (select step, fit.feature, xg.g, any_value(xg.x) / sum(n.n * b) as a from fit join n on n.t = fit.t join xg on xg.feature = fit.feature and xg.g = n.g where step < 200 group by 1, 2, 3)
+    select step + 1, a.feature, xt.t, any_value(xt.x) / sum(n.n * a) from a join n on n.g = a.g join xt on xt.feature = a.feature and xt.t = n.t group by 1, 2, 3)),
+b as (select feature, t, ln(b) as b from fit where step = 200),
+a as (select xg.feature, xg.g, ln(any_value(xg.x) / sum(n.n * exp(b.b))) as a from b join n on n.t = b.t join xg on xg.feature = b.feature and xg.g = n.g group by 1, 2)
+select a.feature, a.g::int as k, round(case when a.g = 0 then a.a + b0.b else a.a - a0.a end, 5) + 0.0 as value
+from a join a a0 on a0.feature = a.feature and a0.g = 0 join b b0 on b0.feature = a.feature and b0.t = 0
+union all select b.feature, ((select count(distinct g) from n) - 1 + b.t)::int, round(b.b - b0.b, 5) + 0.0 from b join b b0 on b0.feature = b.feature and b0.t = 0 where b.t > 0""")
 def poisson_fit_additive(spark, sf_dir):
-    """Two factors; tests hold the score equations of the fit at zero."""
+    """Two factors; the SQL fits their margins in turn until they hold, which gives the same estimates."""
     fitted = fits.fit_poisson(order_brand(spark, sf_dir, "~1+p+st"))
     return coefficients(fitted, "theta_loc", 5)
 
@@ -433,8 +449,19 @@ def nb_fit_loc(spark, sf_dir):
     return coefficients(fits.fit_nb(order_qty(spark, sf_dir), init_location="standard"), "theta_loc", 4)
 
 
-@query()
+@query(f"""with recursive {QTY}, v as (select feature, g, x, avg(x) over (partition by feature, g) as mu from qty),
+n as (select feature, mu, count(*) as n from v group by 1, 2),
+c as (select feature, i, count(*) as c from v cross join range((select max(x)::int from qty)) t(i) where i < x group by 1, 2),
+fit(step, feature, low, high) as (select 0, feature, -10.0::double, 10.0::double from n group by 2
+  union all (with m as (select step, feature, low, high, (low + high) / 2 as s from fit where step < 60),
+    up as (select m.feature, sum(c.c / (exp(s) + i)) as up from m join c on c.feature = m.feature group by 1),
+    down as (select m.feature, sum(n.n * ln(1 + n.mu * exp(-s))) as down from m join n on n.feature = m.feature group by 1)
+    select step + 1, m.feature, case when up > down then s else low end, case when up > down then high else s end from m join up on up.feature = m.feature join down on down.feature = m.feature)),
+r as (select feature, low as s, exp(low) as r from fit where step = 60)
+select v.feature, round(any_value(s), 4) + 0.0 as log_phi,
+  round(sum(lgamma(r + x) - lgamma(x + 1) - lgamma(r) + x * (ln(mu) - ln(r + mu)) + r * (s - ln(r + mu))), 2) as ll, 'converged' as status from v join r on r.feature = v.feature group by 1""")
 def nb_fit_scale(spark, sf_dir):
+    """Locations are the logs of group means, so in the SQL the scale's score has one root, found by halving."""
     fitted = fits.fit_nb(order_qty(spark, sf_dir))
     return fitted.select("feature", rounded(F.element_at("theta_scale", 1), 4).alias("log_phi"), rounded(F.col("ll"), 2).alias("ll"), "status")
 
