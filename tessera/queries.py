@@ -466,8 +466,20 @@ def nb_fit_scale(spark, sf_dir):
     return fitted.select("feature", rounded(F.element_at("theta_scale", 1), 4).alias("log_phi"), rounded(F.col("ll"), 2).alias("ll"), "status")
 
 
-@query()
+@query(f"""with recursive {_SIZED}, v as (select feature, g, n as z, x, count(*) as n from sz group by 1, 2, 3, 4),
+c as (select feature, i, sum(n) as c from v cross join range((select max(x)::int from v)) t(i) where i < x group by 1, 2),
+fit(step, feature, g, a, s) as (select 0, feature, g, ln(sum(n * x) / sum(n * z)), 0.0::double from v group by 2, 3
+  union all (with m as (select step, v.feature, v.g, a, s, exp(s) as r, exp(a) * z as mu, x, n from fit join v on v.feature = fit.feature and v.g = fit.g where step < 200),
+    loc as (select step, feature, g, any_value(s) as s, any_value(a) + sum(n * r * (x - mu) / (r + mu)) / sum(n * r * mu / (r + mu)) as a from m group by 1, 2, 3),
+    rs as (select feature, any_value(exp(s)) as r from fit group by 1),
+    h as (select c.feature, sum(c.c / (r + i)) as h1, sum(c.c / power(r + i, 2)) as h2 from c join rs on rs.feature = c.feature group by 1),
+    sc as (select m.feature, any_value(h1) + sum(n * (s + 1 - (r + x) / (r + mu) - ln(r + mu))) as u,
+        -any_value(r) * any_value(h2) + sum(n * (1 - r * (mu - x) / power(r + mu, 2) - r / (r + mu))) as d from m join h on h.feature = m.feature group by 1)
+    select step + 1, loc.feature, loc.g, loc.a, loc.s - greatest(least(u / d, 0.5), -0.5) from loc join sc on sc.feature = loc.feature)),
+m as (select feature, g, a as v from fit where step = 200)
+select a.feature, a.g::int as k, round(case when a.g = 0 then a.v else a.v - b.v end, 4) + 0.0 as value from m a join m b on a.feature = b.feature and b.g = 0""")
 def nb_fit_size_factors(spark, sf_dir):
+    """The SQL takes Newton steps of each group's location and of the scale until neither moves."""
     fitted = fits.fit_nb(sized(spark, sf_dir))
     return coefficients(fitted, "theta_loc", 4)
 

@@ -9,7 +9,7 @@ SMALL = "/root/testdata/sf0.001"
 
 
 @pytest.mark.skipif(not os.path.exists(SMALL), reason="no test data here")
-@pytest.mark.parametrize("name", [n for n in QUERIES if n in ("feature_allzero", "group_moments", "nb_logmu", "nb_ll", "norm_fim", "poisson_fit", "poisson_fit_additive", "nb_hessian", "nb_fit_scale", "bin_covariate", "distinct_design")])
+@pytest.mark.parametrize("name", [n for n in QUERIES if n in ("feature_allzero", "group_moments", "nb_logmu", "nb_ll", "norm_fim", "poisson_fit", "poisson_fit_additive", "nb_hessian", "nb_fit_scale", "nb_fit_size_factors", "bin_covariate", "distinct_design")])
 def test_as_the_sql(spark, name):
     con = duckdb.connect()
     for t in ("nation", "part", "orders", "lineitem", "embeddings"):
