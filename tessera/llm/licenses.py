@@ -1,7 +1,8 @@
 """License scans by an exact set-similarity join of text blocks with license templates.
 
-A template is a token set; a text block is a window of 2 * LONGEST words, one beginning every LONGEST
-words, so any LONGEST words in a row lie within a block. Tokens are ordered by corpus frequency, rarest
+A template is a token set; a text block is a window of 2 * step words, one beginning every step words,
+so any step words in a row lie within a block. The step is SHORTEST words, doubled for longer templates
+until they fit, so that each length of template has blocks of its own and none is too long. Tokens are ordered by corpus frequency, rarest
 first, counted over all texts. A block that holds share s of template T holds a = ceil(s * |T|) of its
 tokens, and so one of the first |T| - a + 1 in that order (prefix filter, an inverted index of the
 templates' prefixes); blocks with fewer than a template tokens (length filter) and pairs whose tokens
@@ -30,7 +31,7 @@ PHRASES = {
     "cc by nc": "cc-by-nc",
 }
 
-#: License sentences, all under LONGEST words, and their labels.
+#: License sentences and their labels.
 TEMPLATES = {
     "released under the mit license": "mit",
     "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files": "mit",
@@ -44,7 +45,8 @@ TEMPLATES = {
     "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted": "isc",
 }
 
-LONGEST = 24
+#: The least step between blocks.
+SHORTEST = 24
 SHARE = 0.85
 
 #: A-Z lower-cased; every other ASCII byte that isn't a digit or letter ends a word.
@@ -64,13 +66,13 @@ class Template:
 
 
 class Index:
-    """Templates in token order, and their prefixes' inverted lists."""
+    """Templates of `step` words at most in token order, and their prefixes' inverted lists."""
 
-    def __init__(self, templates: list[Template], counts: Mapping[bytes, int], share: float):
+    def __init__(self, templates: list[Template], counts: Mapping[bytes, int], share: float, step: int = SHORTEST):
         for t in templates:
-            if not 0 < len(t.words) <= LONGEST:
-                raise ValueError(f"a template has 1 to {LONGEST} words: {t}")
-        self.templates = templates
+            if not 0 < len(t.words) <= step:
+                raise ValueError(f"a template has 1 to {step} words here: {t}")
+        self.templates, self.step = templates, step
         tokens = {w for t in templates for w in t.words}
         self.rank = {w: k for k, w in enumerate(sorted(tokens, key=lambda w: (counts.get(w, 0), w)))}
         self.sets = [sorted({self.rank[w] for w in t.words}) for t in templates]
@@ -82,16 +84,16 @@ class Index:
                 self.lists.setdefault(names[token], []).append((t, place))
 
     def join(self, words: list[bytes]) -> Iterator[tuple[int, int, int]]:
-        """(block, template, overlap) of every block and template that meet the share; a block begins at block * LONGEST."""
-        lists, blocks = self.lists, {}
-        last = max(0, -(-(len(words) - LONGEST) // LONGEST))
+        """(block, template, overlap) of every block and template that meet the share; a block begins at block * step."""
+        lists, blocks, step = self.lists, {}, self.step
+        last = max(0, -(-(len(words) - step) // step))
         for at in [k for k, w in enumerate(words) if w in lists]:
-            home = at // LONGEST
+            home = at // step
             for block in {min(home, last), min(max(home - 1, 0), last)}:
-                if block * LONGEST <= at < (block + 2) * LONGEST:
+                if block * step <= at < (block + 2) * step:
                     blocks.setdefault(block, set()).update(lists[words[at]])
         for block, hits in blocks.items():
-            part = words[block * LONGEST : (block + 2) * LONGEST]
+            part = words[block * step : (block + 2) * step]
             have = sorted({self.rank[w] for w in part if w in self.rank})
             place_of = {token: k for k, token in enumerate(have)}
             done = set()
@@ -107,23 +109,34 @@ class Index:
                     yield block, t, both
 
 
-def scan(index: Index, text: str | None) -> tuple:
+def indexes(templates: list[Template], counts: Mapping[bytes, int], share: float) -> list[Index]:
+    """An index per step that the templates' lengths need."""
+    steps: dict[int, list[Template]] = {}
+    for t in templates:
+        step = SHORTEST
+        while step < len(t.words):
+            step *= 2
+        steps.setdefault(step, []).append(t)
+    return [Index(group, counts, share, step) for step, group in sorted(steps.items())]
+
+
+def scan(found_by: list[Index], text: str | None) -> tuple:
     """(n_words, n_base, first_word, last_word, base_labels, labels, score) of a text."""
     words = words_of(text)
     places, base, labels, score = set(), set(), set(), 0.0
-    for block, t, both in index.join(words):
+    for index, block, t, both in ((index, *hit) for index in found_by for hit in index.join(words)):
         template = index.templates[t]
         if not template.phrase:
             labels.add(template.label)
             score = max(score, both / len(index.sets[t]))
             continue
         n, first = len(template.words), template.words[0]
-        for at in range(block * LONGEST, min((block + 2) * LONGEST, len(words)) - n + 1):
+        for at in range(block * index.step, min((block + 2) * index.step, len(words)) - n + 1):
             if words[at] == first and tuple(words[at : at + n]) == template.words:
-                places.add((at, t))
+                places.add((at, index.step, t))
                 base.add(template.label)
                 score = 1.0
-    starts = [p for p, _ in places]
+    starts = [p for p, *_ in places]
     return len(words), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base | labels)), score
 
 
@@ -164,14 +177,26 @@ def license_scan(
     pass through, one row each. Only the id and text are read. An empty table gives no rows.
     """
     parsed = parse(phrases, templates)
-    index = Index(parsed, template_counts(docs, parsed, text_col), share)
+    found_by = indexes(parsed, template_counts(docs, parsed, text_col), share)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64()]
         names = [x.split()[0] for x in _OUT.split(", ")]
         for batch in batches:
-            rows = [scan(index, t) for t in batch.column(1).to_pylist()]
+            rows = [scan(found_by, t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[c] for r in rows], k) for c, k in enumerate(kinds))], ["id", *names])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, f"id long, {_OUT}").withColumnRenamed("id", id_col)
+
+
+def _base_sql() -> str:
+    here = " ".join(f"when {' and '.join(f"w[i + {k}] = '{x}'" for k, x in enumerate(p.split()))} then '{label}'" for p, label in PHRASES.items())
+    return f"""with t as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from documents),
+h as (select doc_id, w, list_filter(list_transform(range(1, len(w) + 1), lambda i: {{'at': i - 1, 'label': case {here} end}}), lambda x: x.label is not null) as h from t)
+select doc_id, len(w)::bigint as n_words, len(h)::bigint as n_base, h[1].at::bigint as first_word, h[-1].at::bigint as last_word,
+  array_to_string(list_sort(list_distinct(list_transform(h, lambda x: x.label))), ',') as base_labels from h"""
+
+
+#: DuckDB SQL for the base columns; labels and score are the method's own.
+BASE_SQL = _base_sql()

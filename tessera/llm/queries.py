@@ -41,6 +41,11 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(table(spark, sf_dir, "documents"))
 
 
+def license_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op7_license_scan finds of the base phrases, which SQL can say too."""
+    return op7_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -62,12 +67,13 @@ def op10_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_sentencepiece, op2_warc_salvage, op3_toxicity, op4_weak_quality, op5_mix_sources, op6_avi_media, op7_license_scan, op8_minhash_near_dedup, op9_substring_dedup, op10_pivot_index)
+    for f in (op1_sentencepiece, op2_warc_salvage, op3_toxicity, op4_weak_quality, op5_mix_sources, op6_avi_media, op7_license_scan, license_base, op8_minhash_near_dedup, op9_substring_dedup, op10_pivot_index)
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op8_minhash_near_dedup": near_dedup.ORACLE_SQL,
     "op2_warc_salvage": warc.ORACLE_SQL,
+    "license_base": licenses.BASE_SQL,
     "op5_mix_sources": mixing.oracle_sql(),
     "op10_pivot_index": pivots.ORACLE_SQL,
 }

@@ -22,8 +22,8 @@ def brute(text):
                 places.append(k)
                 base.add(label)
                 score = 1.0
-    for b in range(0, max(1, len(w)), lc.LONGEST):
-        block = set(w[b : b + 2 * lc.LONGEST])
+    for b in range(0, max(1, len(w)), lc.SHORTEST):
+        block = set(w[b : b + 2 * lc.SHORTEST])
         for t, label in lc.TEMPLATES.items():
             s = set(words(t))
             share = len(s & block) / len(s)
@@ -72,3 +72,15 @@ def test_edges(spark):
     for r in got:
         assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, r.score) == brute(dict(rows)[r.doc_id])
     assert lc.license_scan(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_templates_of_any_length(spark):
+    rng = random.Random(3)
+    full = [f"clause{i}" for i in range(300)]
+    some = [w for w in full if rng.random() < 0.9]
+    half = full[:150]
+    filler = ["the", "of"] * 500
+    rows = [(1, " ".join(filler + full + filler)), (2, " ".join(filler + some + filler)), (3, " ".join(half)), (4, " ".join(filler))]
+    got = lc.license_scan(spark.createDataFrame([(i, t, None, None) for i, t in rows], SCHEMA), templates={" ".join(full): "long", "clause1 clause2 clause3": "short"}).collect()
+    assert {r.doc_id: r.labels for r in got} == {1: "long,short", 2: "long,short" if {"clause1", "clause2", "clause3"} <= set(some) else "long", 3: "short", 4: ""}
+    assert {r.doc_id: r.score for r in got}[1] == 1.0
