@@ -358,7 +358,9 @@ def fit(
     spark = inp.x.sparkSession
     blocks = blocks or SETTINGS.blocks or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     n_obs, c_loc, c_scale, sized = inp.num_observations, inp.c_loc(), inp.c_scale(), inp.has_size_factors
-    cells = inp.cells().join(start, "feature").withColumn("block", F.pmod(F.hash("feature"), F.lit(blocks)))
+    # the normal likelihood and its derivatives take x by its first two powers alone
+    source = inp.moment_cells() if fam.name == "norm" else inp.cells()
+    cells = source.join(start, "feature").withColumn("block", F.pmod(F.hash("feature"), F.lit(blocks)))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         return fit_block(pdf, fam, c_loc, c_scale, train_loc, train_scale, phases, n_obs, sized, compat)

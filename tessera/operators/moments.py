@@ -65,12 +65,13 @@ def design_groups(inp: GlmInput, side: str = "loc") -> Groups:
 
 
 def group_moments(inp: GlmInput, groups: Groups, side: str = "loc", divide: Callable[[Column, Column], Column] | None = None) -> DataFrame:
-    """(feature, g, n, mean, variance) with the population variance E[x²] - E[x]² of the values by size factor."""
+    """(feature, g, n, mean, variance) with the population variance E[x²] - E[x]² of the values by size factor; divide is linear in the value."""
     value = F.col("x").cast("double")
     if inp.has_size_factors and divide is not None:
         value = divide(value, F.col("size_factor"))
-    cells = inp.cells().withColumn("v", value).withColumn("g", groups.column(F.col(side)))
-    n, s, q = F.sum("cnt"), F.sum(F.col("cnt") * F.col("v")), F.sum(F.col("cnt") * F.col("v") * F.col("v"))
+    # a size factor scales a cell's values alike, so their first two powers are enough
+    cells = inp.moment_cells().withColumn("v", value).withColumn("g", groups.column(F.col(side)))
+    n, s, q = F.sum("cnt").cast("long"), F.sum(F.col("cnt") * F.col("v")), F.sum(F.col("cnt") * F.col("v") * F.col("v"))
     out = cells.groupBy("feature", "g").agg(n.alias("n"), s.alias("s"), q.alias("q"))
     mean = F.col("s") / F.col("n")
     return out.select("feature", "g", "n", mean.alias("mean"), (F.col("q") / F.col("n") - mean * mean).alias("variance"))

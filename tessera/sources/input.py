@@ -251,6 +251,40 @@ class GlmInput:
         """(loc, scale, size_factor, n_obs): the distinct design rows."""
         return self.design.groupBy("loc", "scale", "size_factor").agg(F.count(F.lit(1)).alias("n_obs"))
 
+    def _every_group(self) -> DataFrame | None:
+        """(feature, loc, scale, size_factor, n_obs) of every feature and distinct design row; None without a design row."""
+        groups = self.groups().limit(MAX_GROUPS + 1).collect()
+        if not groups:
+            return None
+        if len(groups) > MAX_GROUPS:
+            # every feature has zeros for every design row; blocks of design rows spread them over tasks
+            blocks = F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("block")
+            by_block = self.groups().withColumn("block", F.pmod(F.xxhash64("loc", "scale", "size_factor"), F.lit(BLOCKS)).cast("int"))
+            return self.features().select("feature", blocks).join(by_block, "block").drop("block")
+        lit = lambda v: F.lit(None).cast("double") if v is None else F.lit(float(v))
+        each = F.explode(F.array(*[F.struct(F.array(*map(lit, g["loc"])).alias("loc"), F.array(*map(lit, g["scale"])).alias("scale"), lit(g["size_factor"]).alias("size_factor"), F.lit(g["n_obs"]).alias("n_obs")) for g in groups]))
+        return self.features().select("feature", each.alias("g")).select("feature", "g.*")
+
+    def moment_cells(self) -> DataFrame:
+        """Cells for sums of polynomials of degree 2 in x at most: two per feature and distinct design row, a deviation below and above the mean.
+
+        They have the number, sum and sum of squares of the row's values, zeros without a row included, and come
+        from one aggregation with partial sums before its shuffle, whose size is that of the design and not of the values.
+        """
+        keys = ["feature", "loc", "scale", "size_factor"]
+        value = F.col("x").cast("double")
+        rows = self.x.join(self.design, "obs_id").groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("m"), F.var_pop(value).alias("v"))
+        full = self._every_group()
+        if full is None:
+            return rows.select(*keys, F.col("m").alias("x"), F.col("n").cast("double").alias("cnt"))
+        none = {"n": F.lit(0).cast("long"), "m": F.lit(0.0), "v": F.lit(0.0)}
+        both = rows.withColumn("n_obs", F.lit(0).cast("long")).unionByName(full.withColumns(none).withColumn("n_obs", F.col("n_obs").cast("long")))
+        both = both.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("n", "m", "v", "n_obs")])
+        share = F.col("n") / F.col("n_obs")
+        deviation = F.sqrt(share * F.col("v") + share * (1 - share) * F.col("m") * F.col("m"))
+        ends = F.explode(F.array(share * F.col("m") - deviation, share * F.col("m") + deviation))
+        return both.where("n_obs > 0").select(*keys, ends.alias("x"), (F.col("n_obs") / 2).alias("cnt"))
+
     def cells(self) -> DataFrame:
         """(feature, loc, scale, size_factor, x, cnt): the lossless aggregate that every kernel sums over.
 
@@ -259,18 +293,9 @@ class GlmInput:
         """
         keys = ["feature", "loc", "scale", "size_factor"]
         rows = self.x.join(self.design, "obs_id").groupBy(*keys, "x").agg(F.count(F.lit(1)).alias("cnt"))
-        groups = self.groups().limit(MAX_GROUPS + 1).collect()
-        if not groups:
+        full = self._every_group()
+        if full is None:
             return rows
-        if len(groups) > MAX_GROUPS:
-            # every feature has zeros for every design row; blocks of design rows spread them over tasks
-            blocks = F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("block")
-            by_block = self.groups().withColumn("block", F.pmod(F.xxhash64("loc", "scale", "size_factor"), F.lit(BLOCKS)).cast("int"))
-            full = self.features().select("feature", blocks).join(by_block, "block").drop("block")
-        else:
-            lit = lambda v: F.lit(None).cast("double") if v is None else F.lit(float(v))
-            each = F.explode(F.array(*[F.struct(F.array(*map(lit, g["loc"])).alias("loc"), F.array(*map(lit, g["scale"])).alias("scale"), lit(g["size_factor"]).alias("size_factor"), F.lit(g["n_obs"]).alias("n_obs")) for g in groups]))
-            full = self.features().select("feature", each.alias("g")).select("feature", "g.*")
         full = full.withColumns({"x": F.lit(0.0).cast(self.dtype), "cnt": F.lit(0).cast("long")})
         there = rows.withColumn("n_obs", F.lit(0).cast("long")).unionByName(full.withColumn("n_obs", F.col("n_obs").cast("long")))
         spread = there.groupBy(*keys, "x").agg(F.sum("cnt").alias("cnt"), F.sum("n_obs").alias("n_obs"))

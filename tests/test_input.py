@@ -109,3 +109,27 @@ def test_zeros_count_with_more_design_rows_than_max_groups(spark):
     inp = GlmInput.from_matrix(spark, data, design, ["Intercept"], size_factors=np.arange(1, n + 1) / 100)
     got = {(r.feature, round(r.size_factor * 100) - 1): (r.x, r.cnt) for r in inp.cells().collect()}
     assert got == {(str(f), o): (data[o, f], 1) for f in range(2) for o in range(n)}
+
+
+@pytest.mark.parametrize("n", [60, 1100])
+def test_moment_cells_have_the_sums_of_the_cells(spark, n):
+    """With few and with more than MAX_GROUPS distinct size factors, zeros left out and a feature of zeros alone."""
+    rng = np.random.default_rng(n)
+    data = np.round(rng.normal(size=(n, 3)) * rng.integers(0, 2, (n, 3)), 2)
+    data[:, 2] = 0
+    design = np.stack([np.ones(n), np.arange(n) % 3 == 1], axis=1).astype(float)
+    inp = GlmInput.from_matrix(spark, data, design, ["a", "b"], size_factors=1 + np.arange(n) // 2 / 100)
+    keys = ["feature", "loc", "size_factor"]
+
+    def sums(cells):
+        rows = cells.selectExpr(*keys, "cast(x as double) as x", "cast(cnt as double) as cnt").groupBy(*keys).agg({"cnt": "sum"}).collect()
+        first = cells.selectExpr(*keys, "x * cnt as s", "x * x * cnt as q").groupBy(*keys).agg({"s": "sum", "q": "sum"}).collect()
+        out = {(r.feature, tuple(r["loc"]), r.size_factor): [r["sum(cnt)"]] for r in rows}
+        for r in first:
+            out[r.feature, tuple(r["loc"]), r.size_factor] += [r["sum(s)"], r["sum(q)"]]
+        return out
+
+    one, two = sums(inp.cells()), sums(inp.moment_cells())
+    assert one.keys() == two.keys()
+    for k, v in one.items():
+        assert two[k] == pytest.approx(v, abs=1e-9)
